@@ -1,0 +1,89 @@
+"""Links between rows: connected groups by hash-to-min, and what a frontier reaches."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corpuscle.llm.common import messages, read, staged
+
+
+def _mark(df: DataFrame) -> tuple:
+    """Number of rows and a sum over them that changes with them."""
+    return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every end of the links (a, b): root is the smallest node linked with it, itself included.
+
+    Hash-to-min: each node sends what it knows to the smallest of it, and that smallest to all of it, until
+    nothing changes."""
+    a, b = edges.columns
+    ends = edges.select(F.explode(F.array(F.struct(F.col(a).alias("v"), F.col(b).alias("u")), F.struct(F.col(b).alias("v"), F.col(a).alias("u")), F.struct(F.col(a).alias("v"), F.col(a).alias("u")), F.struct(F.col(b).alias("v"), F.col(b).alias("u")))).alias("e")).select("e.*")
+    known = staged(ends.distinct())
+    before = _mark(known)
+    while before[0]:
+        least = known.groupBy("v").agg(F.min("u").alias("m"))
+        pairs = known.join(least, "v").select(F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("u").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e")).select("e.*")
+        known = staged(pairs.distinct())
+        if (now := _mark(known)) == before:
+            break
+        before = now
+    return known.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("root"))
+
+
+def _ids(column: str):
+    """The ids of an untidily written list, in upper case."""
+    return F.explode(F.array_distinct(F.filter(F.split(F.upper(F.col(column)), r"[^\p{L}\p{N}]+"), lambda x: x != "")))
+
+
+def links(spark, sf_dir: str) -> DataFrame:
+    """The links (a, b) that the audit's rows hold."""
+    tidy = lambda c: F.upper(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")))
+    rows = read(spark, sf_dir, "leakage_heldout_rows")
+    partners = rows.select(tidy("heldout_id").alias("a"), _ids("train_partner_ids").alias("b"))
+    named = rows.select(_ids("near_pair_ids").alias("pair_id")).distinct()
+    pairs = read(spark, sf_dir, "near_pairs").select(tidy("pair_id").alias("pair_id"), tidy("id_a").alias("a"), tidy("id_b").alias("b"))
+    every = partners.unionByName(pairs.join(named, "pair_id").select("a", "b"))
+    return every.where((F.col("a") != "") & (F.col("b") != "")).distinct()
+
+
+def p7_found(spark, sf_dir: str) -> DataFrame:
+    return components(links(spark, sf_dir)).select(F.col("node").alias("id"), F.col("root").alias("group_id"))
+
+
+#: Two letters, five digits and one more, with or without one blank, hyphen or slash between them.
+REFERENCE = r"(?U)(?<![\p{L}\p{N}])\p{L}{2}[\s/‐‑-]?\p{Nd}{5}[\s/‐‑-]?\p{Nd}(?![\p{L}\p{N}])"
+
+
+def reached(own: DataFrame, edges: DataFrame) -> DataFrame:
+    """(key, bits): what each key of ``own`` (key, bits) has or gets along the links (a, b), all ways.
+
+    A frontier search: each round only the keys that got a new bit pass their bits on."""
+    linked = staged(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    state = staged(own.join(linked.select(F.col("a").alias("key")).distinct(), "key"))
+    frontier = state.where("bits != 0")
+    while True:
+        sent = frontier.join(linked, F.col("key") == F.col("a")).groupBy(F.col("b").alias("key")).agg(F.bit_or("bits").alias("more"))
+        both = state.join(sent, "key", "left").withColumn("more", F.coalesce("more", F.lit(0)).bitwiseOR(F.col("bits")))
+        after = staged(both.select("key", F.col("more").alias("bits"), (F.col("more") != F.col("bits")).alias("new")))
+        state, frontier = after.drop("new"), after.where("new").drop("new")
+        if frontier.isEmpty():
+            break
+    return own.join(state.withColumnRenamed("bits", "all"), "key", "left").select("key", F.coalesce("all", "bits").alias("bits"))
+
+
+def p2_found(spark, sf_dir: str) -> DataFrame:
+    author = F.upper(F.regexp_replace("sender_id", r"(?U)[\s‐‑-]+", ""))
+    found = F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(REFERENCE), F.lit(0)), lambda x: F.concat(F.lit("R"), F.upper(F.regexp_replace(x, r"(?U)[\s/‐‑-]", ""))))
+    authors = F.when(author.rlike("^S[0-9]{9}$"), F.array(F.concat(F.lit("A"), author))).otherwise(F.array().cast("array<string>"))
+    bit = F.when(F.col("split") == "train", 1).when(F.col("split") == "heldout", 2).otherwise(0)
+    # a re-delivery may spell the sender in another way, or name another
+    keyed = messages(spark, sf_dir, "split", "sender_id").select("id", bit.alias("bits"), F.array_distinct(F.concat(authors, found)).alias("ks")).where(F.size("ks") > 0)
+    rows = staged(keyed.select("id", "bits", F.explode("ks").alias("key")).distinct())
+    own = staged(rows.groupBy("key").agg(F.bit_or("bits").alias("bits")))
+    # a message links all its keys, also those of its re-deliveries, with the smallest
+    keys = rows.groupBy("id").agg(F.collect_set("key").alias("ks")).where(F.size("ks") > 1)
+    edges = keys.select(F.array_min("ks").alias("a"), F.explode("ks").alias("b")).where("a != b").distinct()
+    hits = rows.where("bits != 0").join(reached(own, edges).withColumnRenamed("bits", "all"), "key")
+    return hits.where(F.col("all").bitwiseAND(F.lit(3) - F.col("bits")) != 0).select("id").distinct()
