@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 #: Maximal runs of letters and digits.
 WORD = re.compile(r"[^\W_]+")
-_FIELD = re.compile(r"\s*([^\W\d_][^\S\n]*(?:[^\W\d_]+[^\S\n]*)*)[:=](.*)", re.S)
+_FIELD = re.compile(r"\s*[^\W\d_](?:[^\W\d_]|[^\S\n])*[:=](.*)", re.S)
 _FIELD_END = re.compile(r"[;|\r\n]+")
 
 
@@ -47,7 +47,8 @@ def messages(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
 
 
 def fold_case(text: str) -> str:
-    return text.upper().lower()
+    """Lower case; a sigma is one letter wherever in a word it stands."""
+    return text.upper().lower().replace("ς", "σ")
 
 
 def hash64(text: str) -> int:
@@ -55,13 +56,18 @@ def hash64(text: str) -> int:
 
 
 def format_key(text: str) -> str:
-    """What is left of ``text`` when case, everything but letters and digits and, if it consists of at least
-    three fields, their order is ignored. Empty for a text without any letter or digit."""
+    """What is left of ``text`` when case and everything but letters and digits is ignored. Empty for a text
+    without any letter or digit."""
+    return "".join(WORD.findall(fold_case(text)))
+
+
+def field_key(text: str) -> str | None:
+    """If ``text`` consists of at least three fields, the keys of these in order of the alphabet."""
     if text.count(":") + text.count("=") >= 3:
         fields = [f for f in _FIELD_END.split(text) if f.strip()]
         if len(fields) >= 3 and all(map(_FIELD.fullmatch, fields)):
-            return "\x1f".join(sorted("".join(WORD.findall(fold_case(f))) for f in fields))
-    return "".join(WORD.findall(fold_case(text)))
+            return "\x1f".join(sorted(map(format_key, fields)))
+    return None
 
 
 def blank_to_null(name: str):

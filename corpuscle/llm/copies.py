@@ -9,23 +9,32 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.llm.common import format_key, messages, staged
+from corpuscle.llm.common import field_key, format_key, messages, staged
+from corpuscle.llm.graph import components
 
 
-def _digest(key: str) -> bytes | None:
+def _digest(key: str | None) -> bytes | None:
     return xxhash.xxh3_128_digest(key.encode("utf-8", "surrogatepass")) if key else None
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = [_digest(format_key(t)) if t else None for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary())], ["id", "key"])
+        texts = batch.column(1).to_pylist()
+        plain = pa.array([_digest(format_key(t)) if t else None for t in texts], pa.binary())
+        fields = pa.array([_digest(field_key(t)) if t else None for t in texts], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), plain, fields], ["id", "plain", "fields"])
 
 
 def copy_keys(spark, sf_dir: str) -> DataFrame:
-    """(id, key) of every message with a letter or digit, once; copies share their key."""
-    keyed = messages(spark, sf_dir).mapInArrow(_keys, "id string, key binary")
-    return staged(keyed.where("key is not null").distinct())
+    """(id, key) of every message with a letter or digit, once; copies share their key.
+
+    Two messages are copies if all that is left of them is equal, or their fields in any order, or through others."""
+    keyed = staged(messages(spark, sf_dir).mapInArrow(_keys, "id string, plain binary, fields binary").where("plain is not null").distinct())
+    both = keyed.where("fields is not null").select("plain", "fields").distinct()
+    several = [both.groupBy(c).agg(F.count("*").alias("n")).where("n > 1").select(c) for c in ("plain", "fields")]
+    edges = both.join(several[0], "plain", "left_semi").union(both.join(several[1], "fields", "left_semi").select("plain", "fields"))
+    roots = components(edges.distinct()).withColumnRenamed("node", "plain")
+    return staged(keyed.join(roots, "plain", "left").select("id", F.coalesce("root", "plain").alias("key")))
 
 
 def p3_found(spark, sf_dir: str) -> DataFrame:

@@ -70,3 +70,15 @@ def test_p1_every_similar_pair(spark, put):
 def test_p6_heldout_against_train(spark, put):
     folder = put("canonical_sms", TEXTS, "id string, split string, text string")
     assert found(spark, "p6_found", folder) == [("H1", "T1"), ("H1", "T2")]
+
+
+def test_p3_both_keys_and_sigma(spark, put):
+    rows = [("1", "A: 1; B: 2; C: 3"), ("2", "A: 1, B: 2, C: 3"), ("3", "C: 3; A: 1; B: 2"), ("4", "ΟΔΟΣ ΑΒ"), ("5", "οδοςαβ"), ("6", "ΟΔΟΣΑΒ")]
+    folder = put("canonical_sms", rows, "id string, text string")
+    assert found(spark, "p3_found", folder) == [("1", "2"), ("1", "3"), ("4", "5"), ("4", "6")]
+
+
+def test_field_key_ends_on_long_words():
+    from corpuscle.llm.common import field_key
+
+    assert field_key("a: 1; b = 2; " + "word " * 40 + "; c: 3") is None
