@@ -1,0 +1,32 @@
+"""Exact duplicates of messages and whether they cross the split."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_BLANKS = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+#: Lower case, blanks collapsed; a final sigma is a sigma, as engines differ in where they write it.
+EXACT_DUPLICATE_CLUSTERS = """
+WITH once AS (SELECT DISTINCT id, split, text FROM canonical_sms WHERE text IS NOT NULL),
+plain AS (SELECT id, split, trim(regexp_replace(replace(lower(text), 'ς', 'σ'), '{blanks}', ' '{every})) AS normalized FROM once)
+SELECT min(id) AS representative_id,
+       CAST(count(*) AS BIGINT) AS cluster_size,
+       CAST(sum(CASE WHEN split = 'train' THEN 1 ELSE 0 END) AS BIGINT) AS train_count,
+       CAST(sum(CASE WHEN split = 'heldout' THEN 1 ELSE 0 END) AS BIGINT) AS heldout_count,
+       max(CASE WHEN split = 'train' THEN 1 ELSE 0 END) + max(CASE WHEN split = 'heldout' THEN 1 ELSE 0 END) = 2 AS cross_split
+FROM plain GROUP BY normalized HAVING count(*) > 1
+"""
+
+
+def exact_duplicate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    view = f"canonical_sms_{uuid.uuid4().hex}"
+    spark.read.parquet(f"{sf_dir}/canonical_sms.parquet").createOrReplaceTempView(view)
+    sql = EXACT_DUPLICATE_CLUSTERS.format(blanks=_BLANKS.replace("\\", "\\\\"), every="")
+    return spark.sql(sql.replace("FROM canonical_sms", f"FROM {view}"))
+
+
+def exact_duplicate_clusters_sql() -> str:
+    return EXACT_DUPLICATE_CLUSTERS.format(blanks=_BLANKS, every=", 'g'")

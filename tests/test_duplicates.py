@@ -1,0 +1,23 @@
+import duckdb
+
+import __spark_entry__
+
+
+def test_exact_duplicate_clusters_as_oracle(spark, put):
+    rows = [("T1", "train", "Hello  World"), ("T1", "train", "Hello  World"), ("H2", "heldout", " hello world\n"), ("U3", None, "hello world"), ("T4", "train", "x"), ("T5", "train", None), ("T6", "train", None), ("T7", "train", "ΟΔΟΣ"), ("T8", "train", "οδος")]
+    folder = put("canonical_sms", rows, "id string, split string, text string")
+    got = sorted(map(tuple, __spark_entry__.queries()["exact_duplicate_clusters"](spark, folder).collect()))
+    assert got == [("H2", 3, 1, 1, True), ("T7", 2, 2, 0, False)]
+    sql = __spark_entry__.oracle_sql()["exact_duplicate_clusters"].replace("FROM canonical_sms", f"FROM '{folder}/canonical_sms.parquet/*.parquet'")
+    assert sorted(duckdb.connect().sql(sql).fetchall()) == got
+
+
+def test_oracle_on_driver_table(spark):
+    folder = "/root/testdata/sf0.01"
+    got = sorted(map(tuple, __spark_entry__.queries()["exact_duplicate_clusters"](spark, folder).collect()))
+    sql = __spark_entry__.oracle_sql()["exact_duplicate_clusters"].replace("FROM canonical_sms", f"FROM '{folder}/canonical_sms.parquet'")
+    assert got and sorted(duckdb.connect().sql(sql).fetchall()) == got
+
+
+def test_entry_has_rows(spark):
+    assert __spark_entry__.entry(spark).count() > 0
