@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Maximal runs of letters and digits.
-WORD = re.compile(r"[^\W_]+")
-_FIELD = re.compile(r"\s*[^\W\d_](?:[^\W\d_]|[^\S\n])*[:=](.*)", re.S)
-_FIELD_END = re.compile(r"[;|\r\n]+")
+#: A character that no word holds; words are maximal runs of letters and digits.
+NO_WORD = r"[^\p{L}\p{N}]+"
+#: Blanks of any kind, for patterns of the JVM.
+BLANK = r"[\p{Z}\x{9}-\x{d}\x{1c}-\x{1f}\x{85}]"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,54 +19,52 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which all executors share. Only where it is unset, as in
-    tests, a local one is set."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.corpuscle.stage.dir", None)
+    """The checkpoint folder of the session, which all executors share. Where none is set a local one is made,
+    but only for a local master: executors on other machines could not read it."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="corpuscle-")
-        spark.conf.set("spark.corpuscle.stage.dir", folder)
+        context.setCheckpointDir(folder)
     return folder
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` as a table written to the shared folder: cuts lineage, and a lost executor loses nothing."""
+def staged(df: DataFrame, *replaced: DataFrame) -> DataFrame:
+    """``df`` as a table written to the shared folder: cuts lineage, and a lost executor loses nothing. The
+    stages ``replaced`` are deleted afterwards; nothing may read them any more."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for old in replaced:
+        drop_stage(old)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._stage = path
+    return made
 
 
-def tasks_for(spark: SparkSession, least: int = 1) -> int:
-    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def drop_stage(stage: DataFrame) -> None:
+    jvm = stage.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(stage._stage)
+    path.getFileSystem(stage.sparkSession._jsc.hadoopConfiguration() if hasattr(stage.sparkSession, "_jsc") else stage.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def messages(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """The rows of ``canonical_sms``, re-deliveries included: queries take an id once where they group by it, so
+    that texts need not be shuffled for it."""
     return read(spark, sf_dir, "canonical_sms").select("id", "text", *more)
 
 
-def fold_case(text: str) -> str:
+def fold_case(text: Column) -> Column:
     """Lower case; a sigma is one letter wherever in a word it stands."""
-    return text.upper().lower().replace("ς", "σ")
+    return F.replace(F.lower(F.upper(text)), F.lit("ς"), F.lit("σ"))
 
 
-def hash64(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+def canonical(text: Column) -> Column:
+    """What is left of ``text`` when case and everything but letters and digits is ignored."""
+    return F.regexp_replace(fold_case(text), NO_WORD, "")
 
 
-def format_key(text: str) -> str:
-    """What is left of ``text`` when case and everything but letters and digits is ignored. Empty for a text
-    without any letter or digit."""
-    return "".join(WORD.findall(fold_case(text)))
-
-
-def field_key(text: str) -> str | None:
-    """If ``text`` consists of at least three fields, the keys of these in order of the alphabet."""
-    if text.count(":") + text.count("=") >= 3:
-        fields = [f for f in _FIELD_END.split(text) if f.strip()]
-        if len(fields) >= 3 and all(map(_FIELD.fullmatch, fields)):
-            return "\x1f".join(sorted(map(format_key, fields)))
-    return None
-
-
-def blank_to_null(name: str):
-    return F.when(F.trim(name) != "", F.col(name))
+def digest(text: Column) -> Column:
+    return F.unhex(F.md5(F.encode(text, "utf-8")))

@@ -1,43 +1,65 @@
-"""Messages that differ in formatting only."""
+"""Messages that differ in formatting only (problem 3), by dictionary-encoded tuples."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.llm.common import field_key, format_key, messages, staged
-from corpuscle.llm.graph import components
+from corpuscle.llm.common import BLANK, canonical, digest, messages, staged
+from corpuscle.llm.groups import components
+
+#: What parts fields, and how a field begins: a name of letters and blanks, then a colon or equals sign.
+FIELD_END = r"[;|\r\n]+"
+FIELD = rf"^{BLANK}*\p{{L}}(?:\p{{L}}|{BLANK})*[:=]"
+
 
+def _values(texts: DataFrame) -> DataFrame:
+    """(id, at, raw): at 0 the whole text, from 1 on its fields if it consists of at least three."""
+    parts = F.filter(F.split("text", FIELD_END), lambda x: x.rlike(f"[^{BLANK[1:-1]}]"))
+    fields = F.when((F.size("parts") >= 3) & F.forall("parts", lambda x: x.rlike(FIELD)), F.col("parts"))
+    whole = texts.where(F.col("text").rlike(r"[\p{L}\p{N}]")).withColumn("parts", parts)
+    raws = F.concat(F.array("text"), F.coalesce(fields, F.array().cast("array<string>")))
+    return whole.select("id", F.posexplode(raws).alias("at", "raw"))
 
-def _digest(key: str | None) -> bytes | None:
-    return xxhash.xxh3_128_digest(key.encode("utf-8", "surrogatepass")) if key else None
 
+def encode(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The records of ``texts`` (id, text) as integers: (id, whole) and, for texts made of fields, (id, whole, t)
+    with t their sorted tuple of integers.
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column(1).to_pylist()
-        plain = pa.array([_digest(format_key(t)) if t else None for t in texts], pa.binary())
-        fields = pa.array([_digest(field_key(t)) if t else None for t in texts], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), plain, fields], ["id", "plain", "fields"])
+    Each distinct value is made canonical once; each distinct canonical value gets an integer. Records meet the
+    dictionary over 128-bit digests, so texts are shuffled only to find the distinct ones.
+    """
+    values = _values(texts)
+    raw = staged(values.select("raw").distinct().select(digest(F.col("raw")).alias("rd"), digest(canonical(F.col("raw"))).alias("cd")))
+    numbered = staged(raw.select("cd").distinct().withColumn("v", F.monotonically_increasing_id()))
+    dictionary = raw.join(numbered, "cd").select("rd", "v")
+    records = staged(values.select("id", "at", digest(F.col("raw")).alias("rd")).join(dictionary, "rd").select("id", "at", "v"), raw, numbered)
+    whole = records.where("at = 0").select("id", F.col("v").alias("whole")).distinct()
+    # a re-delivery repeats the text, so the same value stands at the same place; a text bounds its fields
+    tuples = records.where("at > 0").groupBy("id").agg(F.array_sort(F.transform(F.collect_set(F.struct("at", "v")), lambda x: x["v"])).alias("t"))
+    return whole, tuples.join(whole, "id")
 
 
-def copy_keys(spark, sf_dir: str) -> DataFrame:
-    """(id, key) of every message with a letter or digit, once; copies share their key.
+def classes(texts: DataFrame) -> DataFrame:
+    """(id, key) of every text (id, text) with a letter or digit, once; copies share the integer ``key``.
 
-    Two messages are copies if all that is left of them is equal, or their fields in any order, or through others."""
-    keyed = staged(messages(spark, sf_dir).mapInArrow(_keys, "id string, plain binary, fields binary").where("plain is not null").distinct())
-    both = keyed.where("fields is not null").select("plain", "fields").distinct()
-    several = [both.groupBy(c).agg(F.count("*").alias("n")).where("n > 1").select(c) for c in ("plain", "fields")]
-    edges = both.join(several[0], "plain", "left_semi").union(both.join(several[1], "fields", "left_semi").select("plain", "fields"))
-    roots = components(edges.distinct()).withColumnRenamed("node", "plain")
-    return staged(keyed.join(roots, "plain", "left").select("id", F.coalesce("root", "plain").alias("key")))
+    Two texts are copies if their whole canonical values are equal, or their tuples of fields, or both are copies
+    of a third. Null, empty and letterless texts are no rows.
+    """
+    whole, tuples = encode(texts)
+    same = tuples.select("t", "whole").distinct()
+    least = same.groupBy("t").agg(F.min("whole").alias("least"))
+    edges = same.join(least, "t").where("whole != least").select("whole", "least").distinct()
+    roots = components(edges).toDF("whole", "root")
+    return staged(whole.join(roots, "whole", "left").select("id", F.coalesce("root", "whole").alias("key")))
 
 
 def p3_found(spark, sf_dir: str) -> DataFrame:
-    rows = copy_keys(spark, sf_dir)
+    rows = classes(messages(spark, sf_dir))
     kept = rows.groupBy("key").agg(F.min("id").alias("keep_id"), F.count("*").alias("n")).where("n > 1")
     return rows.join(kept, "key").where("id != keep_id").select("keep_id", "id")
+
+
+def p3_collapsed(spark, sf_dir: str) -> DataFrame:
+    """(keep_id, n_copies): one row for each group of copies, with how many there were, itself included."""
+    return classes(messages(spark, sf_dir)).groupBy("key").agg(F.min("id").alias("keep_id"), F.count("*").alias("n_copies")).drop("key")
