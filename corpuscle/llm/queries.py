@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuscle.llm import copies, groups, near, overlap, splits, tokens
+from corpuscle.llm import copies, groups, mix, near, overlap, splits, tokens
 
 QUERIES = {
     "p1_found": near.p1_found,
@@ -17,6 +17,8 @@ QUERIES = {
     "p7_found": groups.p7_found,
     "p7_group_sizes": groups.p7_group_sizes,
     "p8_ids": tokens.p8_ids,
+    "p9_mix": mix.p9_mix,
+    "p9_shares": mix.p9_shares,
 }
 
 SQL: dict[str, str] = {}
