@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuscle.llm import copies, groups, mix, near, overlap, splits, tokens
+from corpuscle.llm import copies, cut, groups, mix, near, overlap, splits, tokens
 
 QUERIES = {
     "p1_found": near.p1_found,
@@ -19,6 +19,7 @@ QUERIES = {
     "p8_ids": tokens.p8_ids,
     "p9_mix": mix.p9_mix,
     "p9_shares": mix.p9_shares,
+    "p10_pieces": cut.p10_pieces,
 }
 
 SQL: dict[str, str] = {}

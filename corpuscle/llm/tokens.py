@@ -118,12 +118,12 @@ class Encoder:
     def _learn(self, cut: list[list[str]]) -> dict[str, tuple[int, ...]]:
         """The ids of all words of ``cut``, each distinct one encoded once."""
         words = set(chain.from_iterable(cut))
-        fresh = words - self.known.keys()
+        fresh = [w for w in words if w not in self.known]
         if fresh:
             if len(self.known) + len(fresh) > KEPT:
                 self.known.clear()
-                fresh = words
-            order = list(fresh)
+                fresh = list(words)
+            order = fresh
             self.known.update(zip(order, self.words(order), strict=True))
         return self.known
 
