@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuscle.llm import copies, cut, groups, mix, near, overlap, splits, tokens
+from corpuscle.llm import copies, cut, encoding, groups, mix, near, overlap, splits, tokens
 
 QUERIES = {
     "p1_found": near.p1_found,
@@ -12,6 +12,8 @@ QUERIES = {
     "p2_shares": splits.p2_shares,
     "p3_found": copies.p3_found,
     "p3_collapsed": copies.p3_collapsed,
+    "p4_found": encoding.p4_found,
+    "p4_restored": encoding.p4_restored,
     "p6_found": overlap.p6_found,
     "p6_report": overlap.p6_report,
     "p7_found": groups.p7_found,
