@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuscle.llm import copies, cut, encoding, groups, mix, near, overlap, splits, tokens
+from corpuscle.llm import copies, cut, encoding, groups, mix, near, overlap, pii, splits, tokens
 
 QUERIES = {
     "p1_found": near.p1_found,
@@ -14,6 +14,9 @@ QUERIES = {
     "p3_collapsed": copies.p3_collapsed,
     "p4_found": encoding.p4_found,
     "p4_restored": encoding.p4_restored,
+    "p5_found": pii.p5_found,
+    "p5_masked": pii.p5_masked,
+    "p5_surrogates": pii.p5_surrogates,
     "p6_found": overlap.p6_found,
     "p6_report": overlap.p6_report,
     "p7_found": groups.p7_found,
