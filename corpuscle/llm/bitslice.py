@@ -19,7 +19,7 @@ WIDTH = 256
 #: Planes after which it is looked whether a pair of tiles can be abandoned.
 _LOOK = (96, 128, 160, 192, 224, 256)
 _COUNTER = 9
-_AT_ONCE = 96
+_AT_ONCE = 512
 
 
 def _csa(a, b, c):
@@ -65,6 +65,23 @@ def _lanes(bits: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=-1, bitorder="little").view(np.uint64)
 
 
+def _placed(lengths: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, int]:
+    """The row in each lane, or -1, and the number of tiles: a group goes on in the tile where the last one ended only
+    if all of it fits there, so that small groups never span tiles and large ones begin with one."""
+    begins, free = [], 0
+    for n in lengths.tolist():
+        room = -free % 64
+        if n > room:
+            free += room
+        begins.append(free)
+        free += n
+    tiles = -(-free // 64)
+    row = np.full(tiles * 64, -1, np.int64)
+    inside = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    row[np.repeat(np.array(begins), lengths) + inside] = np.repeat(starts, lengths) + inside
+    return row, tiles
+
+
 def close_pairs(group: np.ndarray, size: np.ndarray, side: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row numbers (i, j), i < j, of the pairs within one group that may have a similarity of at least 0.6.
 
@@ -72,40 +89,57 @@ def close_pairs(group: np.ndarray, size: np.ndarray, side: np.ndarray, sketch: n
     first and the other the second. Sets of m and n elements are alike if their difference has at most
     (m + n) / 4 elements, and then the smaller has at least 0.6 of the larger.
     """
-    n = len(group)
-    if n < 2:
+    if len(group) < 2:
         return
-    tiles = -(-n // 64)
-    pad = tiles * 64 - n
-    group = np.concatenate([group, np.full(pad, -1, group.dtype)])
-    # an index of its own for each group, none for the padding
-    size, side = np.concatenate([size, np.zeros(pad, size.dtype)]), np.concatenate([side, np.zeros(pad, side.dtype)])
-    bits = np.unpackbits(np.concatenate([sketch, np.zeros((pad, sketch.shape[1]), np.uint8)]), axis=1, bitorder="little").reshape(tiles, 64, WIDTH)
-    planes = _lanes(np.ascontiguousarray(bits.transpose(2, 0, 1)))[:, :, 0]
-    spread = -np.ascontiguousarray(bits.transpose(2, 0, 1)).view(np.int8)
-    group, size, side = group.reshape(tiles, 64), size.reshape(tiles, 64), side.reshape(tiles, 64)
-    # the last tile in which the group of a tile's last row still has a row
-    change = np.nonzero(np.diff(group.ravel()))[0]
-    ends = np.append(change, tiles * 64 - 1)
-    last = ends[np.searchsorted(ends, np.arange(tiles) * 64 + 63)] // 64
-    reach = last - np.arange(tiles) + 1
+    first = np.concatenate([[0], np.nonzero(np.diff(group))[0] + 1, [len(group)]])
+    row, tiles = _placed(np.diff(first), first[:-1])
+    real = row >= 0
+    at = np.where(real, row, 0)
+    bits = np.unpackbits(np.where(real[:, None], sketch[at], np.uint8(0)), axis=1, bitorder="little").reshape(tiles, 64, WIDTH)
+    across = np.ascontiguousarray(bits.transpose(2, 0, 1))
+    planes = _lanes(across)[:, :, 0]
+    spread = -across.view(np.int8)
+    group, side = np.where(real, group[at], -1).reshape(tiles, 64), np.where(real, side[at], 0).astype(np.uint8).reshape(tiles, 64)
+    # what fills a tile takes the size of the row before, so that sizes stay in order
+    size = size[np.maximum.accumulate(at)].reshape(tiles, 64)
+    # the last tile of the group that begins or goes on in a tile's first lane; what begins later ends in the tile
+    ends = {int(g): t for t, g in enumerate(group[:, 0]) if g >= 0}
+    reach = np.array([ends.get(int(g), t) - t + 1 for t, g in enumerate(group[:, 0])])
     x = np.repeat(np.arange(tiles), reach)
     y = x + np.arange(len(x)) - np.repeat(np.cumsum(reach) - reach, reach)
     # tiles of one group whose sizes are too far apart; x holds the smaller sizes
-    apart = (x != y) & (group[x, 63] == group[y, 0]) & (size[x, 63] < 0.6 * size[y, 0] - 1e-9) & (group[x, 0] == group[x, 63]) & (group[y, 0] == group[y, 63])
+    apart = (x != y) & (group[x, 0] == group[y, 0]) & (size[x].max(1) < 0.6 * size[y, 0] - 1e-9)
     x, y = x[~apart], y[~apart]
     for lo in range(0, len(x), _AT_ONCE):
-        yield from _tiles(x[lo : lo + _AT_ONCE], y[lo : lo + _AT_ONCE], group, size, side, planes, spread)
+        for i, j in _tiles(x[lo : lo + _AT_ONCE], y[lo : lo + _AT_ONCE], group, size, side, planes, spread):
+            yield row[i], row[j]
+
+
+_ABOVE = np.ascontiguousarray(np.packbits(np.triu(np.ones((64, 64), np.uint8), 1), axis=1, bitorder="little")).view(np.uint64)[:, 0]
+
+
+def _wanted(x, y, group, size, side):
+    """For each pair of tiles the words of the pairs to compare."""
+    # most pairs of tiles lie in one block, all rows alike in side and size: then all their pairs count
+    one = (group[x, 0] == group[y, 63]) & (group[x, 0] >= 0) & (size[x, 0] >= 0.6 * size[y, 63] - 1e-9) & (side[x].min(1) == 3) & (side[y].min(1) == 3)
+    out = np.full((len(x), 64), ~np.uint64(0))
+    out[one & (x == y)] = _ABOVE
+    rest = np.nonzero(~one)[0]
+    if len(rest):
+        a, b = x[rest], y[rest]
+        gx, gy, sx, sy = group[a][:, :, None], group[b][:, None, :], size[a][:, :, None], size[b][:, None, :]
+        ok = (gx == gy) & (gx >= 0)
+        ok &= (sx >= 0.6 * sy - 1e-9) & (sy >= 0.6 * sx - 1e-9)
+        ax, ay = side[a][:, :, None], side[b][:, None, :]
+        ok &= ((ax & (ay >> 1)) | ((ax >> 1) & ay) & 1).astype(bool)
+        words = _lanes(ok)[:, :, 0]
+        words[a == b] &= _ABOVE
+        out[rest] = words
+    return out
 
 
 def _tiles(x, y, group, size, side, planes, spread):
-    gx, gy, sx, sy = group[x][:, :, None], group[y][:, None, :], size[x][:, :, None], size[y][:, None, :]
-    ok = (gx == gy) & (gx >= 0) & (np.minimum(sx, sy) >= 0.6 * np.maximum(sx, sy) - 1e-9)
-    ax, ay = side[x][:, :, None], side[y][:, None, :]
-    ok &= (((ax & 1) & (ay >> 1)) | ((ax >> 1) & (ay & 1))).astype(bool)
-    same = np.nonzero(x == y)[0]
-    ok[same] &= np.triu(np.ones((64, 64), bool), 1)
-    wanted = _lanes(ok)[:, :, 0]
+    wanted = _wanted(x, y, group, size, side)
     live = np.nonzero(wanted.any(1))[0]
     x, y, wanted = x[live], y[live], wanted[live]
     radius = (size[x].max(1) + size[y].max(1)) // 4
