@@ -43,7 +43,7 @@ def _atoms(text: str, own) -> tuple[list[int], list[int]]:
 
 
 def _strengths(text: str, ends: list[int], words: set[int]) -> np.ndarray:
-    """How strong the boundary at each of ``ends`` is: 5 paragraph, 4 line, 3 sentence, 2 word, 1 between a word and a
+    """How strong the boundary at each of ``ends`` is: 10 paragraph, 8 line, 6 sentence, 4 word, 2 between a word and a
     sign, 0 inside a word."""
     runs = {}
     for m in _SPACES.finditer(text):
@@ -53,10 +53,11 @@ def _strengths(text: str, ends: list[int], words: set[int]) -> np.ndarray:
         while before > 0 and text[before] in _CLOSING:
             before -= 1
         strength = 5 if lines > 1 else 4 if lines else 3 if before >= 0 and text[before] in _SENTENCE_END else 2
-        runs[m.start()] = runs[m.end()] = strength
+        # a piece had better begin with a letter than with the end of a line
+        runs[m.start()], runs[m.end()] = 2 * strength - (lines > 0), 2 * strength
     out = np.zeros(len(ends), np.int8)
     for k, p in enumerate(ends):
-        out[k] = runs.get(p) or (1 if p in words else 0)
+        out[k] = runs.get(p) or (2 if p in words else 0)
     return out
 
 
@@ -132,9 +133,9 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(lo, 200)
             lengths = own.lengths(part.column("text").to_pylist())
             for doc, text, limit, overlap, n in zip(*(part.column(k).to_pylist() for k in ("doc_id", "text", "max_tokens", "overlap_tokens")), lengths, strict=True):
-                if text is None or n <= limit:
+                if text is None or limit is None or n <= limit:
                     continue
-                for no, (begin, own_begin, end, m) in enumerate(cut(text, limit, overlap, own)):
+                for no, (begin, own_begin, end, m) in enumerate(cut(text, limit, overlap or 0, own)):
                     for column, value in zip(rows, (doc, no, begin, own_begin, end, m, text[begin:end]), strict=True):
                         column.append(value)
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
@@ -144,9 +145,10 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def p10_pieces(spark, sf_dir: str) -> DataFrame:
     """(doc_id, piece, begin, own_begin, end, n_tokens, text): the pieces of every document above the token limit of
     its source; those within it, and null texts, have none. A null source, or one without a row of its own, takes
-    the row ``default``."""
+    the row ``default``; without that row its documents have no limit. A null overlap is none."""
     limits = read(spark, sf_dir, "cut_limits").groupBy(source_key("source").alias("source")).agg(F.min("max_tokens").alias("max_tokens"), F.min("overlap_tokens").alias("overlap_tokens"))
-    usual = limits.where("source = 'default'").select(F.col("max_tokens").alias("m"), F.col("overlap_tokens").alias("o"))
+    default = lambda c: F.max(F.when(F.col("source") == "default", F.col(c)))
+    usual = limits.agg(default("max_tokens").alias("m"), default("overlap_tokens").alias("o"))  # always one row
     docs = read(spark, sf_dir, "documents").select("doc_id", source_key("source").alias("source"), "text")
     with_limit = docs.join(F.broadcast(limits), "source", "left").crossJoin(F.broadcast(usual))
     rows = with_limit.select("doc_id", "text", F.coalesce("max_tokens", "m").alias("max_tokens"), F.coalesce("overlap_tokens", "o").alias("overlap_tokens"))

@@ -27,4 +27,14 @@ QUERIES = {
     "p10_pieces": cut.p10_pieces,
 }
 
-SQL: dict[str, str] = {}
+_TIDY = r"upper(regexp_replace({c}, '^[\s\x{{a0}}\x{{200b}}]+|[\s\x{{a0}}\x{{200b}}]+$', '', 'g'))"
+_LIST = r"unnest(regexp_extract_all(upper(coalesce({c}, '')), '[\p{{L}}\p{{N}}]+'))"
+_LINKS = f"""WITH RECURSIVE t AS (SELECT {_TIDY.format(c='heldout_id')} AS a, {_LIST.format(c='train_partner_ids')} AS b FROM leakage_heldout_rows), nm AS (SELECT DISTINCT {_LIST.format(c='near_pair_ids')} AS p FROM leakage_heldout_rows),
+l AS (SELECT a, b FROM t WHERE a <> '' UNION SELECT {_TIDY.format(c='id_a')}, {_TIDY.format(c='id_b')} FROM near_pairs WHERE {_TIDY.format(c='pair_id')} IN (SELECT p FROM nm)),
+e AS (SELECT a, b FROM l WHERE a <> '' AND b <> '' UNION SELECT b, a FROM l WHERE a <> '' AND b <> '' UNION SELECT a, a FROM l WHERE a <> '' AND b <> '' UNION SELECT b, b FROM l WHERE a <> '' AND b <> ''),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), g AS (SELECT a AS id, min(b) AS group_id FROM r GROUP BY a)"""
+
+SQL: dict[str, str] = {
+    "p7_found": f"{_LINKS} SELECT id, group_id FROM g",
+    "p7_group_sizes": f"{_LINKS}, s AS (SELECT count(*) AS members FROM g GROUP BY group_id) SELECT members, count(*) AS n_groups FROM s GROUP BY members",
+}
