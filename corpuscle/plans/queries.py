@@ -12,7 +12,7 @@ _BY_MODULE = {
     evidence: "knn_label_evidence label_error_candidates label_error_watchlist ambiguity_candidates shortcut_review_queue",
     interventions: "training_partner_removal exclude_leaked_heldout dedup_components dedup_keep_first overlay_effect cue_masking intervention_row_counts combined_view",
     findings: "finding_counts top_n_per_issue final_findings adjudication_memo submission_validation",
-    vectors: "word_tfidf_weights near_pairs_word near_pairs_char",
+    vectors: "word_tfidf_weights near_pairs_word",
     models: "word_lr_oof shallow_lr_probe masked_lr intervention_metrics",
 }
 QUERIES = {name: getattr(module, name) for module, names in _BY_MODULE.items() for name in names.split()}
