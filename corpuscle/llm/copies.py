@@ -22,9 +22,9 @@ def _values(texts: DataFrame) -> DataFrame:
     return whole.select("id", F.posexplode(raws).alias("at", "raw"))
 
 
-def encode(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def encode(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The records of ``texts`` (id, text) as integers: (id, whole) and, for texts made of fields, (id, whole, t)
-    with t their sorted tuple of integers.
+    with t their sorted tuple of integers; and the stage that both read.
 
     Each distinct value is made canonical once; each distinct canonical value gets an integer. Records meet the
     dictionary over 128-bit digests, so texts are shuffled only to find the distinct ones.
@@ -37,7 +37,7 @@ def encode(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     whole = records.where("at = 0").select("id", F.col("v").alias("whole")).distinct()
     # a re-delivery repeats the text, so the same value stands at the same place; a text bounds its fields
     tuples = records.where("at > 0").groupBy("id").agg(F.array_sort(F.transform(F.collect_set(F.struct("at", "v")), lambda x: x["v"])).alias("t"))
-    return whole, tuples.join(whole, "id")
+    return whole, tuples.join(whole, "id"), records
 
 
 def classes(texts: DataFrame) -> DataFrame:
@@ -46,12 +46,12 @@ def classes(texts: DataFrame) -> DataFrame:
     Two texts are copies if their whole canonical values are equal, or their tuples of fields, or both are copies
     of a third. Null, empty and letterless texts are no rows.
     """
-    whole, tuples = encode(texts)
+    whole, tuples, records = encode(texts)
     same = tuples.select("t", "whole").distinct()
     least = same.groupBy("t").agg(F.min("whole").alias("least"))
     edges = same.join(least, "t").where("whole != least").select("whole", "least").distinct()
     roots = components(edges).toDF("whole", "root")
-    return staged(whole.join(roots, "whole", "left").select("id", F.coalesce("root", "whole").alias("key")))
+    return staged(whole.join(roots, "whole", "left").select("id", F.coalesce("root", "whole").alias("key")), records)
 
 
 def p3_found(spark, sf_dir: str) -> DataFrame:
