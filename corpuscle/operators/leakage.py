@@ -94,5 +94,6 @@ def majority_baseline(spark, sf_dir: str) -> DataFrame:
 def prediction_integrity(spark, sf_dir: str) -> DataFrame:
     """One row: predictions that have their message, and those whose text, split or label is the same there."""
     both = predictions(spark, sf_dir).alias("p").join(split_messages(spark, sf_dir).alias("m"), "id", "left")
-    same = lambda c: F.sum(F.col(f"p.{c}").eqNullSafe(F.col(f"m.{c}")).cast("bigint")).alias(f"same_{c}")
-    return both.agg(F.count("*").alias("n"), F.sum(F.col("m.split").isNotNull().cast("bigint")).alias("matched"), same("text"), same("split"), same("label"))
+    count = lambda c: F.coalesce(F.sum(c.cast("bigint")), F.lit(0))
+    same = lambda c: count(F.col(f"p.{c}").eqNullSafe(F.col(f"m.{c}"))).alias(f"same_{c}")
+    return both.agg(F.count("*").alias("n"), count(F.col("m.split").isNotNull()).alias("matched"), same("text"), same("split"), same("label"))

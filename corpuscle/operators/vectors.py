@@ -13,7 +13,7 @@ LEAST_DF, MOST_SHARE, FLOOR = 2, 0.995, 0.88
 
 def word_grams(text: str) -> Column:
     """Words of at least two characters, and pairs of neighbouring ones."""
-    words = F.filter(X.tokens(F.lower(X.given(text))), lambda w: F.length(w) >= 2)
+    words = F.filter(X.tokens(F.replace(F.lower(X.given(text)), F.lit("ς"), F.lit("σ"))), lambda w: F.length(w) >= 2)
     twos = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
     return F.concat(words, twos)
 

@@ -66,7 +66,7 @@ nb AS (SELECT l5.id, count(*) AS neighbour_count, coalesce(sum(CASE WHEN partner
 e0 AS (SELECT kp.*, coalesce(neighbour_count, 0) AS neighbour_count, coalesce(opposite_fraction, 0) AS opposite_fraction, coalesce(closest_similarity, 0) AS closest_similarity, (word_p_spam + char_p_spam) / 2 AS mean_p FROM kp LEFT JOIN nb ON nb.id = kp.id),
 ev AS (SELECT *, CASE WHEN label = 'ham' THEN mean_p ELSE 1 - mean_p END AS strength, CASE WHEN label = 'ham' THEN 'spam' ELSE 'ham' END AS proposed_label,
   CAST(coalesce(word_pred <> label, false) AS BIGINT) + CAST(coalesce(char_pred <> label, false) AS BIGINT) + CAST(opposite_fraction >= 0.6 AND closest_similarity >= 0.3 AS BIGINT) AS signal_count FROM e0)"""
-WORDS = r"""list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+'), lambda w: length(w) >= 2)"""
+WORDS = r"""list_filter(regexp_extract_all(replace(lower(coalesce(text, '')), 'ς', 'σ'), '[\p{L}\p{N}_]+'), lambda w: length(w) >= 2)"""
 TFIDF = f"""g AS (SELECT id, w, CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END AS two FROM (SELECT id, {WORDS} AS w FROM {{rows}})),
 tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(list_concat(w, two)) AS term FROM g) GROUP BY ALL), n AS (SELECT count(*) AS n FROM {{rows}}),
 dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term), w0 AS (SELECT id, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)::DOUBLE) + 1) AS w FROM tf JOIN dfs USING (term), n WHERE df >= 2 AND df <= 0.995 * n),
