@@ -1,6 +1,7 @@
 import re
 
 import __spark_entry__
+from corpuscle.llm import near
 from corpuscle.llm.near import pieces
 
 
@@ -73,3 +74,19 @@ def test_p3_both_keys_and_sigma(spark, put):
     rows = [("1", "A: 1; B: 2; C: 3"), ("2", "A: 1, B: 2, C: 3"), ("3", "C: 3; A: 1; B: 2"), ("4", "ΟΔΟΣ ΑΒ"), ("5", "οδοςαβ"), ("6", "ΟΔΟΣΑΒ")]
     folder = put("canonical_sms", rows, "id string, text string")
     assert found(spark, "p3_found", folder) == [("1", "2"), ("1", "3"), ("4", "5"), ("4", "6")]
+
+
+def far_words():
+    """H1 and T1 have twelve frequent long words in common, but each has eight rarer ones of its own that stand in one other text."""
+    common = [f"{chr(97 + k) * 3}commonword{k}" for k in range(12)]
+    own = [[f"{c}{k}" for k in range(8)] for c in "xy"]
+    filler = [(f"T{k:02}{j}", "train", f"{w} {chr(110 + j) * 9}{k}filler") for k, w in enumerate(common) for j in range(3)]
+    pair = [("H1", "heldout", " ".join(common + own[0])), ("T1", "train", " ".join(common + own[1]))]
+    return [*pair, ("H8", "heldout", " ".join(own[0])), ("T9", "train", " ".join(own[1])), *filler]
+
+
+def test_p1_every_pair_without_a_rare_word_in_common(spark, put):
+    folder = put("canonical_sms", far_words(), "id string, split string, text string")
+    with_all = sorted(tuple(r) for r in near.p1_found(spark, folder, every=True).collect())
+    assert ("H1", "T1") in with_all and ("H1", "T1") not in found(spark, "p1_found", folder)
+    assert {r["id"]: r["class_id"] for r in near.p1_groups(spark, folder, every=True).collect()}["T1"] == "H1"
