@@ -1,7 +1,7 @@
 import re
 
 import __spark_entry__
-from corpuscle.llm import near
+from corpuscle.llm import near, overlap
 from corpuscle.llm.near import pieces
 
 
@@ -90,3 +90,9 @@ def test_p1_every_pair_without_a_rare_word_in_common(spark, put):
     with_all = sorted(tuple(r) for r in near.p1_found(spark, folder, every=True).collect())
     assert ("H1", "T1") in with_all and ("H1", "T1") not in found(spark, "p1_found", folder)
     assert {r["id"]: r["class_id"] for r in near.p1_groups(spark, folder, every=True).collect()}["T1"] == "H1"
+
+
+def test_p6_every_pair_without_a_rare_word_in_common(spark, put):
+    folder = put("canonical_sms", far_words(), "id string, split string, text string")
+    assert ("H1", "T1") in {tuple(r) for r in overlap.p6_found(spark, folder, every=True).collect()}
+    assert ("H1", "T1") not in found(spark, "p6_found", folder)
