@@ -40,9 +40,9 @@ def predictions(spark, sf_dir: str) -> DataFrame:
     return rows.groupBy("id").agg(*(F.min(c).alias(c) for c in ("split", "uci_row_number", "label", "text", "word_p_spam", "word_pred", "char_p_spam", "char_pred")))
 
 
-def staged(df: DataFrame) -> DataFrame:
+def staged(df: DataFrame, *replaced: DataFrame) -> DataFrame:
     """``df`` as a table in the checkpoint folder that all executors share. A local folder serves where none is
-    set, but for a local master only."""
+    set, but for a local master only. The stages ``replaced`` are deleted afterwards; nothing may read them any more."""
     context = df.sparkSession.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
@@ -52,4 +52,9 @@ def staged(df: DataFrame) -> DataFrame:
         context.setCheckpointDir(folder)
     path = f"{folder}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    for old in replaced:
+        gone = context._jvm.org.apache.hadoop.fs.Path(old._stage)
+        gone.getFileSystem(context._jsc.hadoopConfiguration()).delete(gone, True)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made._stage = path
+    return made

@@ -94,6 +94,36 @@ def test_cosine_pairs_as_all_pairs(spark):
     assert want and got == want
 
 
+def shuffled_bytes(spark):
+    gateway = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_near_pairs_as_cosine_pairs_with_less_shuffled(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 6))) for _ in range(400)]
+    texts = [" ".join(rng.choices(words, k=25)) for _ in range(3000)]
+    for _ in range(300):
+        base = rng.choice(texts).split()
+        base[rng.randrange(len(base))] = rng.choice(words)
+        texts.append(" ".join(base + base[: rng.randrange(3)]))
+    texts += ["", "...", "x", "alone once"]
+    rows = spark.createDataFrame([(f"i{k:04}", t) for k, t in enumerate(texts)], "id string, text string")
+    begun = shuffled_bytes(spark)
+    want = {(r[0], r[1]): r[2] for r in vectors.cosine_pairs(vectors.tfidf(rows, vectors.word_grams("text"), most_share=vectors.MOST_SHARE)).collect()}
+    between = shuffled_bytes(spark)
+    got = {(r[0], r[1]): r[2] for r in vectors.near_pairs(rows, vectors.word_grams("text")).collect()}
+    ended = shuffled_bytes(spark)
+    assert want and got == pytest.approx(want)
+    assert 2 * (ended - between) < between - begun
+
+
+def test_near_pairs_of_no_texts(spark):
+    rows = spark.createDataFrame([], "id string, text string")
+    assert vectors.near_pairs(rows, vectors.word_grams("text")).count() == 0
+
+
 def test_files_round_trip(spark, tmp_path):
     raw = tmp_path / "raw.tsv"
     raw.write_bytes("ham\tcaf\xe9\tau lait\nspam\tNA\n".encode("cp1252"))
