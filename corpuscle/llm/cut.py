@@ -24,10 +24,9 @@ _CLOSING = frozenset("\"'”’»)]")
 _SPACES = regex.compile(r"\s+")
 
 
-def _atoms(text: str, own) -> tuple[list[int], list[int]]:
+def _atoms(words: list[str], lengths: list[int]) -> tuple[list[int], list[int]]:
     """Where the smallest parts of a text that stay whole begin and end, and their running number of tokens: words,
     and of very long words single characters."""
-    words, lengths = own.word_lengths(text)
     ends, tokens = [0], [0]
     for word, n in zip(words, lengths, strict=True):
         if n <= LONG_WORD:
@@ -55,10 +54,8 @@ def _strengths(text: str, ends: list[int], words: set[int]) -> np.ndarray:
         strength = 5 if lines > 1 else 4 if lines else 3 if before >= 0 and text[before] in _SENTENCE_END else 2
         # a piece had better begin with a letter than with the end of a line
         runs[m.start()], runs[m.end()] = 2 * strength - (lines > 0), 2 * strength
-    out = np.zeros(len(ends), np.int8)
-    for k, p in enumerate(ends):
-        out[k] = runs.get(p) or (2 if p in words else 0)
-    return out
+    get = runs.get
+    return np.array([get(p) or (2 if p in words else 0) for p in ends], np.int8)
 
 
 def cut(text: str, limit: int, overlap: int, own=None) -> list[tuple[int, int, int, int]]:
@@ -75,12 +72,13 @@ def cut(text: str, limit: int, overlap: int, own=None) -> list[tuple[int, int, i
     if limit < 1:
         raise ValueError("the limit must be at least one token")
     overlap = max(0, min(overlap, limit - 1))
-    whole = own.lengths([text])[0]
+    parted, lengths = own.word_lengths(text)
+    whole = sum(lengths)
     if whole <= limit:
         return [(0, 0, len(text), whole)]
-    ends, tokens = _atoms(text, own)
+    ends, tokens = _atoms(parted, lengths)
     words, at = set(), 0
-    for w in own.split(text):
+    for w in parted:
         words.add(at)
         at += len(w)
     strength = _strengths(text, ends, words)
@@ -93,8 +91,9 @@ def cut(text: str, limit: int, overlap: int, own=None) -> list[tuple[int, int, i
         lo, hi = max(i + 1, bisect_left(tokens, middle - reach)), min(j - 1, bisect_right(tokens, middle + reach) - 1)
         if lo > hi:
             return min(max(bisect_left(tokens, middle), i + 1), j - 1)
-        near = np.abs(tok[lo : hi + 1] - middle)
-        return lo + int(np.lexsort((near, -strength[lo : hi + 1]))[0])
+        those = strength[lo : hi + 1]
+        best = np.flatnonzero(those == those.max())
+        return lo + int(best[np.abs(tok[lo + best] - middle).argmin()])
 
     def counted(i: int, j: int) -> tuple[int, int]:
         """First atom of the overlap before i, and the tokens of all up to j."""

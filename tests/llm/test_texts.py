@@ -147,3 +147,12 @@ def test_a_tenth_of_documents_in_one_source_is_rounded_evenly(spark, put):
     folder = put("mix_targets", [("hot", 0.5, 1), ("cold", 0.5, 1)], MIX)
     shares = {r["source"]: r["reached_share"] for r in run(spark, "p9_shares", folder)}
     assert abs(shares["hot"] - 0.5) < 0.02
+
+
+def test_cut_splits_a_text_once_and_each_piece_once(monkeypatch):
+    own, seen = encoder(), []
+    split = own.split
+    monkeypatch.setattr(own, "split", lambda text: seen.append(text) or split(text))
+    text = "One sentence of some words. Another one follows it!\n" * 40
+    pieces = cut.cut(text, 128, 0, own)
+    assert len(pieces) > 1 and seen.count(text) == 1 and len(seen) == 1 + len(pieces)
