@@ -1,11 +1,13 @@
 """The steps of near.py and the bit planes, held against plain Python."""
 
 import re
+import time
 
 import numpy as np
 import pytest
 
 from corpuscle.llm import bitslice, near, overlap
+from corpuscle.llm.common import drop_shuffles, staged
 
 
 def block(seed, lengths, parts=False, sides=(3,)):
@@ -74,3 +76,40 @@ def test_p6_texts_are_read_and_cut_once(spark, put, monkeypatch):
     assert calls == [["id", "text", "side"]]
     assert {tuple(r) for r in near.p1_found(spark, folder).collect()} == {("H1", "T1"), ("T1", "T2")}
     assert re.fullmatch(r"[HT]\d", near.p1_groups(spark, folder).first()["class_id"])
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {n for k in range(files.size()) if (n := files.apply(k).getName()).startswith("shuffle_")}
+
+
+def test_shuffles_of_the_plan_that_ran_last_are_dropped(spark):
+    before = shuffle_files(spark)
+    staged(spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count())
+    made = shuffle_files(spark) - before
+    assert made
+    drop_shuffles(spark)
+    end = time.time() + 10
+    while made & shuffle_files(spark) and time.time() < end:
+        time.sleep(0.2)
+    assert not made & shuffle_files(spark)
+
+
+@pytest.mark.parametrize("every", [False, True])
+def test_blocks_in_turns_lose_nothing(spark, put, monkeypatch, every):
+    rng, rows, texts = np.random.default_rng(3), [], ["alpha beta gamma delta", "kilo lima mike november oscar"]
+    for k in range(40):
+        texts.append(" ".join({*texts[rng.integers(len(texts))].split(), f"word{rng.integers(25)}"}))
+        rows.append((f"T{k:02}", texts[-1]))
+    folder = put("canonical_sms", rows, "id string, text string")
+    at_once = sorted(tuple(r) for r in near.p1_found(spark, folder, every).collect())
+    shared, turns = [], near._turns
+    monkeypatch.setattr(near, "_turns", lambda *a: (shared.append(turns(*a)), shared[-1])[1])
+    for name, value in (("PART", 4), ("HELD", 3), ("HELD_LEAST", 1)):
+        monkeypatch.setattr(near, name, value)
+    assert sorted(tuple(r) for r in near.p1_found(spark, folder, every).collect()) == at_once
+    assert len(at_once) > 50 and shared[0] > 2
+
+
+def test_turns_hold_rows_in_proportion_to_the_texts():
+    assert [near._turns(n, near.KEYS, more) for n, more in ((0, 0), (100_000, 0), (1_000_000, 0), (1_000_000, 10**8))] == [1, 1, 2, 22]
