@@ -8,6 +8,7 @@ import pytest
 
 from corpuscle.llm import bitslice, near, overlap
 from corpuscle.llm.common import drop_shuffles, staged
+from corpuscle.llm.copies import canonical_values
 
 
 def block(seed, lengths, parts=False, sides=(3,)):
@@ -50,6 +51,21 @@ def test_pairs_beyond_the_radius_take_half_the_planes(monkeypatch):
     assert sum(added) < 0.4 * 136 * 64 * bitslice.WIDTH
 
 
+def test_bits_of_a_whole_group_come_last_and_tiles_bound_by_group(monkeypatch):
+    """Groups whose rows all have 32 bits in common, beside groups of one small set, which share their last tiles."""
+    rng, added, rows = np.random.default_rng(2), [], []
+    for g in range(16):
+        bits = rng.random((144 if g % 2 == 0 else 1, bitslice.WIDTH)) < (0.2 if g % 2 == 0 else 0.02)
+        bits[:, 16 * g : 16 * g + 32] |= g % 2 == 0
+        rows += [(g, 85 if g % 2 == 0 else 5, b) for b in bits]
+    group, size, bits = (np.array(x) for x in zip(*rows, strict=True))
+    add = bitslice._Adder.add16
+    monkeypatch.setattr(bitslice._Adder, "add16", lambda self, x: (added.append(16 * len(x[0])), add(self, x))[1])
+    list(bitslice.close_pairs(group, size, np.full(len(group), 3, np.uint8), np.packbits(bits, axis=1, bitorder="little")))
+    # three tiles a group: 64 rows meet three of them, 64 two, 16 one
+    assert sum(added) < 60 * 8 * (64 * 3 + 64 * 2 + 16)
+
+
 TEXTS = ["Hello, hello WORLD 42", "world 42 hello", "ΟΔΟΣ straße İx", "", "...", None, "a_b-c\x00d é", "z" * 70_000, "naïve 10½", "ẞ 漢字　漢字 x́y"]
 
 
@@ -65,6 +81,15 @@ def test_forms_have_the_words_of_the_jvm(spark):
         assert counts[s] == sum(w in x for x in form.values()), w
 
 
+def test_whole_values_of_plain_texts_are_those_of_the_jvm(spark):
+    """They are made over batches, those of texts beyond ASCII by the JVM; a Kelvin sign is a k in both."""
+    texts = [*TEXTS, "K. 273 \u212a", "k273k", "a: 1; b: 2; c: 3", "C=3|A=1|B=2"]
+    rows = spark.createDataFrame([(str(k), t, 3) for k, t in enumerate(texts)], "id string, text string, side int")
+    wanted = {r["id"]: (r["whole"], r["fields"]) for r in canonical_values(rows).collect()}
+    got = {r["id"]: (r["whole"], r["fields"]) for r in near.forms(rows).collect()}
+    assert got == wanted and got["10"] == got["11"] and got["12"][1] == got["13"][1] is not None
+
+
 def test_p6_texts_are_read_and_cut_once(spark, put, monkeypatch):
     """Neither copies nor splits are joined to the forms by id; they go with them."""
     calls = []
