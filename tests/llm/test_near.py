@@ -5,6 +5,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpuscle.llm import bitslice, near, overlap
 from corpuscle.llm.common import drop_shuffles, staged
@@ -90,6 +91,24 @@ def test_whole_values_of_plain_texts_are_those_of_the_jvm(spark):
     assert got == wanted and got["10"] == got["11"] and got["12"][1] == got["13"][1] is not None
 
 
+def test_known_characters_are_those_of_the_jvm(spark, monkeypatch):
+    """Each of them, and those around them, cut by the JVM and over batches; texts of known ones are left to the batches."""
+    codes = [*range(0x80, 0x180), *range(0x2000, 0x2100), *range(0x1F2F0, 0x1F650)]
+    texts = [f"Ab{chr(c)}Cd {chr(c)}" for c in codes] + ["".join(map(chr, codes[k : k + 9])) for k in range(0, len(codes), 9)]
+    rows = spark.createDataFrame([(str(k), t, 3) for k, t in enumerate(texts)], "id string, text string, side int")
+
+    def made():
+        forms = near.forms(rows).collect()
+        words = {r["f"]: sorted(r["form"].split(" ")) for r in forms if r["form"] is not None}
+        return {r["id"]: (r["whole"], words[r["f"]]) for r in forms}
+
+    assert rows.where(F.col("text").rlike(near.KNOWN)).count() > 1000
+    over_batches = made()
+    monkeypatch.setattr(near, "KNOWN", "^$")
+    assert over_batches == made()
+    assert {i: whole for i, (whole, _) in over_batches.items()} == {r["id"]: r["whole"] for r in canonical_values(rows).collect()}
+
+
 def test_p6_texts_are_read_and_cut_once(spark, put, monkeypatch):
     """Neither copies nor splits are joined to the forms by id; they go with them."""
     calls = []
